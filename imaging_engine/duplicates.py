@@ -1,0 +1,89 @@
+"""Problem 5: new-batch rows held against all rows accepted before them, by digest and by pixel signature."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FAR = 6
+#: The 128 bits as 7 blocks: two signatures that differ in at most 6 bits have at least one block in common.
+BLOCKS = [
+    "shiftrightunsigned(hi, 46) & 262143",
+    "shiftrightunsigned(hi, 28) & 262143",
+    "shiftrightunsigned(hi, 10) & 262143",
+    "shiftleft(hi & 1023L, 8) | shiftrightunsigned(lo, 56)",
+    "shiftrightunsigned(lo, 38) & 262143",
+    "shiftrightunsigned(lo, 19) & 524287",
+    "lo & 524287",
+]
+
+
+def digest(text: Column) -> Column:
+    """64 small hex digits, however the digest is spelled; null if it is none."""
+    bare = F.regexp_replace(F.lower(F.regexp_replace(text, r"(?U)\s+", "")), r"^(?:blake3|b3|sha-?256)[:=]|^0x", "")
+    bare = F.regexp_replace(bare, "[:_-]", "")
+    return F.when(bare.rlike("^[0-9a-f]{64}$"), bare)
+
+
+def signature(text: Column) -> Column:
+    bare = F.lower(F.regexp_replace(text, r"(?U)\s+", ""))
+    return F.when(bare.rlike("^[0-9a-f]{32}$"), bare)
+
+
+def _sets(rows: DataFrame, key: str) -> DataFrame:
+    """For each value: n rows, the first row accepted from the start, and the new rows."""
+    return (
+        rows.where(F.col(key).isNotNull())
+        .groupBy(F.col(key).alias("node"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("accepted"), F.col("file_id"))).alias("first"), F.collect_list(F.when(~F.col("accepted"), F.col("file_id"))).alias("news"))
+    )
+
+
+def _near(sigs: DataFrame) -> DataFrame:
+    """(b, a): signatures that differ in 1 to FAR bits, b one of a new row."""
+    bits = sigs.select(
+        *[F.conv(F.substring("node", at, 16), 16, -10).cast("bigint").alias(x) for at, x in ((1, "hi"), (17, "lo"))],
+        (F.size("news") > 0).alias("new"),
+    )
+    keys = F.array(*[F.expr(f"CAST({i << 19} + ({x}) AS INT)") for i, x in enumerate(BLOCKS)])
+    a = bits.select(F.explode(keys).alias("k"), "hi", "lo").alias("a")
+    b = bits.where("new").select(F.explode(keys).alias("k"), "hi", "lo").alias("b")
+    pairs = a.join(b, "k").where(f"bit_count(a.hi ^ b.hi) + bit_count(a.lo ^ b.lo) BETWEEN 1 AND {FAR}")
+    text = lambda x: F.lower(F.concat(F.lpad(F.hex(F.col(f"{x}.hi")), 16, "0"), F.lpad(F.hex(F.col(f"{x}.lo")), 16, "0"))).alias(x)
+    return pairs.select(text("b"), text("a")).distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
+    rows = spark.read.parquet(f"{sf_dir}/ready_files.parquet").select(
+        "file_id", F.coalesce("accepted", F.lit(False)).alias("accepted"), digest(F.col("hash")).alias("digest"), signature(F.col("pixel_sig")).alias("sig")
+    )
+    sigs = _sets(rows, "sig")
+    near = _near(sigs).checkpoint()
+    touched = near.select(F.col("b").alias("node")).union(near.select("a")).distinct().withColumn("touched", F.lit(True))
+    shared = "size(news) > 0 AND n > 1"
+    nodes = (
+        _sets(rows, "digest").where(shared).select("node", "first", "news")
+        .union(sigs.join(touched, "node", "left").where(f"touched OR ({shared})").select("node", "first", "news"))
+        .checkpoint()
+    )
+    # only rows that share a digest or a signature, or are near one, can be cases; a row watches its own nodes and those near it
+    own = nodes.select(F.explode("news").alias("id"), "node")
+    beside = near.join(nodes.select(F.col("node").alias("b"), "news"), "b").select(F.explode("news").alias("id"), F.col("a").alias("node"))
+    watched = own.union(beside).join(nodes.select("node", "first"), "node").checkpoint()
+    state = own.select("id").distinct().withColumn("is", F.lit("open")).checkpoint()
+
+    def seen() -> DataFrame:
+        """For each row: the first accepted and the first open row among those it watches."""
+        of = lambda s: F.min(F.when(F.col("is") == s, F.col("id")))
+        now = own.join(state, "id").groupBy("node").agg(of("accepted").alias("in"), of("open").alias("open"))
+        return watched.join(now, "node", "left").groupBy("id").agg(F.min(F.least("first", "in")).alias("in"), F.min("open").alias("open"))
+
+    # a row is settled once no open row before it can change it; so each round settles the first open row of every chain
+    while state.where("is = 'open'").limit(1).count():
+        settled = F.expr("CASE WHEN is <> 'open' THEN is WHEN `in` < id THEN 'case' WHEN open < id THEN 'open' ELSE 'accepted' END")
+        state = state.join(seen(), "id", "left").select("id", settled.alias("is")).checkpoint()
+    return state.where("is = 'case'").join(seen(), "id").select(F.col("in").alias("file_id_a"), F.col("id").alias("file_id_b"))

@@ -1,0 +1,38 @@
+"""Problem 1: distinct paths of each scan and series, held against series_info.file_count."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+NO_SERIES = "NO_SERIES"
+
+
+def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scan_id, series_uid, file_count) of ready_files. Paths are made distinct first: so no task gets a whole heavy series."""
+    uid = F.regexp_replace("series_uid", r"(?U)^\s+|\s+$", "")
+    uid = F.when(uid != "", uid).otherwise(F.lit(NO_SERIES))
+    rows = spark.read.parquet(f"{sf_dir}/ready_files.parquet").where("path IS NOT NULL")
+    paths = rows.select("scan_id", uid.alias("series_uid"), "path").distinct()
+    return paths.groupBy("scan_id", "series_uid").agg(F.count(F.lit(1)).alias("file_count"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = spark.read.parquet(f"{sf_dir}/series_info.parquet").select("scan_id", "series_uid", F.col("file_count").alias("said"))
+    counts = file_counts(spark, sf_dir)
+    there = said.alias("s").join(
+        counts.alias("c"),
+        F.expr("s.scan_id <=> c.scan_id AND s.series_uid <=> c.series_uid"),
+        "left",
+    )
+    wrong = there.where("said IS NULL OR said <> coalesce(c.file_count, 0)")
+    return wrong.select("s.scan_id", "s.series_uid").distinct()
+
+
+P1_SQL = r"""
+WITH f AS (SELECT scan_id, CASE WHEN trim(coalesce(series_uid, '')) = '' THEN 'NO_SERIES' ELSE trim(series_uid) END AS series_uid, count(DISTINCT path) AS n
+           FROM ready_files GROUP BY 1, 2)
+SELECT DISTINCT s.scan_id, s.series_uid
+FROM series_info s LEFT JOIN f ON s.scan_id = f.scan_id AND s.series_uid = f.series_uid
+WHERE s.file_count IS NULL OR s.file_count <> coalesce(f.n, 0)
+"""

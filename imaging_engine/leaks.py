@@ -1,0 +1,63 @@
+"""Problem 7: documents that hold passages of the held-out items."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+WORDS = 12
+_INLINE = re.compile(r"</?(?:a|abbr|b|big|code|del|em|font|i|ins|mark|q|s|small|span|strong|sub|sup|tt|u)(?:\s[^<>]*)?/?>", re.I)
+_TAG = re.compile(r"<!--.*?-->|</?[a-z!][^<>]*>", re.I | re.S)
+_WORD = re.compile(r"[^\W_]+")
+_HIDDEN = re.compile("[­​-‍⁠﻿]")
+
+
+def words(text: str) -> list[str]:
+    """Runs of letters and digits, without letter case, accents and markup tags."""
+    if "<" in text:
+        text = _TAG.sub(" ", _INLINE.sub("", text))
+    text = text.casefold()
+    if not text.isascii():
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKD", text))
+        text = "".join(c for c in text if not unicodedata.combining(c))
+    return _WORD.findall(text)
+
+
+def shingles(items: list[tuple[int, str | None]]) -> dict[tuple[str, ...], list[int]]:
+    """Each run of WORDS words, and the items that hold it."""
+    held: dict[tuple[str, ...], list[int]] = {}
+    for item, text in items:
+        w = words(text or "")
+        for run in {tuple(w[i : i + WORDS]) for i in range(len(w) - WORDS + 1)}:
+            held.setdefault(run, []).append(item)
+    return held
+
+
+def leaked(text: str, held: dict[tuple[str, ...], list[int]], known: set[str]) -> set[int]:
+    w = words(text)
+    out: set[int] = set()
+    run = 0
+    for i, word in enumerate(w, 1):
+        run = run + 1 if word in known else 0
+        if run >= WORDS:
+            out.update(held.get(tuple(w[i - WORDS : i]), ()))
+    return out
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # eval_items has the same few rows at every scale
+    items = spark.read.parquet(f"{sf_dir}/eval_items.parquet").select("item_id", "text").collect()
+    held = shingles([tuple(r) for r in items])
+    known = {w for run in held for w in run}
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, texts = (c.to_pylist() for c in batch.columns)
+            rows = [(d, i) for d, t in zip(docs, texts) if t for i in sorted(leaked(t, held, known))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["doc_id", "item_id"])
+
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").mapInArrow(find, "doc_id bigint, item_id bigint")

@@ -1,0 +1,69 @@
+"""Problem 4: the complete records of many tiny JSON fragments, once each, in few files."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterator
+from decimal import Decimal, InvalidOperation
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+TARGET_BYTES = 128 << 20
+_START = re.compile(r"[\[{]")
+
+
+def whole(value: object) -> int | None:
+    """A file_size as a whole number, however it is written."""
+    if isinstance(value, bool) or not isinstance(value, (int, str, Decimal)):
+        return None
+    try:
+        number = Decimal(value.strip() if isinstance(value, str) else value)
+        if not number.is_finite() or number.adjusted() > 18 or number != number.to_integral_value():
+            return None
+    except InvalidOperation:
+        return None
+    return int(number) if -(2**63) <= number < 2**63 else None
+
+
+def records(body: str | None) -> list[tuple[str, int]]:
+    """(path, file_size) of each complete record: single objects, lines, arrays, maps by path; a part cut off is left out."""
+    found: list[tuple[str, int]] = []
+
+    def closed(pairs: list) -> dict:
+        # called as each object closes, so that those within a broken array or map count too
+        d = dict(pairs)
+        if isinstance(d.get("path"), str) and (n := whole(d.get("file_size"))) is not None:
+            found.append((d["path"].encode("utf-8", "replace").decode("utf-8"), n))
+        return d
+
+    decoder = json.JSONDecoder(object_pairs_hook=closed, parse_float=Decimal, strict=False)
+    at, body = 0, body or ""
+    while m := _START.search(body, at):
+        try:
+            _, at = decoder.raw_decode(body, m.start())
+        except (ValueError, RecursionError):
+            at = body.find("\n", m.start()) + 1  # what comes after a broken line counts again
+            if not at:
+                break
+    return found
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = list(dict.fromkeys(r for body in batch.column(0).to_pylist() for r in records(body)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["path", "file_size"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = spark.read.parquet(f"{sf_dir}/manifest_fragments.parquet").select("body").where("body IS NOT NULL")
+    return bodies.mapInArrow(_parse, "path string, file_size bigint").distinct()
+
+
+def consolidate(spark: SparkSession, sf_dir: str, out: str, target_bytes: int = TARGET_BYTES) -> None:
+    """Writes the records to files of about target_bytes (counted as text before compression)."""
+    fragments = spark.read.parquet(f"{sf_dir}/manifest_fragments.parquet")
+    total = fragments.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
+    p4_found(spark, sf_dir).repartition(max(1, -(-total // target_bytes))).write.parquet(out)

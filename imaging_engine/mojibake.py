@@ -1,0 +1,109 @@
+"""Problem 8: texts that hold a passage decoded with a wrong encoding, and what they were before."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+#: Encodings in which UTF-8 is read by mistake.
+CODECS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "mac-roman", "cp437", "cp850", "cp866", "iso8859-15", "cp1254")
+#: Signs that may stand right after a letter in correct text.
+_CLOSING = set("’”»…–—“‘›‹«„‚™®©°·\xa0\xad²³¹ªº")
+#: What the sequences of a wrongly read text stand for: Latin and Cyrillic letters, Greek, punctuation, mathematics, boxes.
+_MEANT = [chr(c) for r in ((0xA0, 0x180), (0x218, 0x21C), (0x2C6, 0x2DE), (0x391, 0x3CA), (0x401, 0x460), (0x490, 0x492), (0x2000, 0x2040), (0x20AC, 0x20AD), (0x2116, 0x2117), (0x2122, 0x2123), (0x2190, 0x2194), (0x2200, 0x2266), (0x2500, 0x25A0), (0xFFFD, 0xFFFE)) for c in range(*r)]
+
+
+def _byte(b: int, codec: str) -> str:
+    try:
+        return bytes([b]).decode(codec)
+    except UnicodeDecodeError:
+        return chr(b)  # undefined bytes pass as control characters
+
+
+def _table(codec: str) -> tuple[dict[str, str], re.Pattern, re.Pattern]:
+    """The wrong sequences with what they stand for; patterns for one of them, and for three-byte letters (East Asian) in a row."""
+    at = [_byte(b, codec) for b in range(256)]
+    wrong = {"".join(at[b] for b in c.encode()): c for c in _MEANT}
+    cls = lambda r: "[" + "".join(map(re.escape, sorted({at[b] for b in r}))) + "]"
+    tail = cls(range(0x80, 0xC0))
+    return wrong, re.compile(f"{cls(range(0xE2, 0xE3))}{tail}{{2}}|{cls(range(0xC2, 0xE0))}{tail}|\xef¿½"), re.compile(f"(?:{cls(range(0xE3, 0xEA))}{tail}{{2}}){{3}}|{cls([0xF0])}{cls([0x9F])}{tail}{{2}}")
+
+
+TABLES = {codec: _table(codec) for codec in CODECS}
+_CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
+#: Bytes of a Cyrillic or East Asian encoding read as a western one: no language has so many accented letters in a row.
+_ACCENTED = re.compile("[\xa1-\xffŒœŠšŽžŸƒˆ˜‚„†‡‰‹›•€™“”‘’…–—]{4,}")
+_ACCENTED_LETTERS = re.compile("[À-ÖØ-öø-ÿ]")
+_LOST = re.compile("�")
+#: Cyrillic words whose letter case is turned about (KOI8-R and cp1251 taken for each other).
+_TURNED = re.compile("(?<![А-яЁё])[а-яё][А-ЯЁ]{3,}")
+_TURNED_LONG = re.compile("(?<![А-яЁё])[а-яё][А-ЯЁ]{4,}")
+#: Signs and letters where no language has them.
+_MISPLACED = re.compile(
+    "|".join(
+        (
+            "[а-яА-Я][¤¦§©¬®±µ¶ЎўҐґЈ][а-яА-Я]|®[а-яЎўЄЇҐ]|[а-я][¤¦¬][а-я]",  # cp866 as cp1251
+            "[A-Za-z][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z]",  # two scripts in a word
+            "[a-zà-ÿ][¹³¿¶¼¾±¤¦¡£¥¢÷×][a-zà-ÿ]|œæ",  # Central European or DOS letters as western signs
+            "[a-zß-öø-ÿ][À-ÖØ-Þ][a-zß-öø-ÿ]|(?<!\\S)û(?!\\S)",  # DOS or Mac letters
+            r"[^\W\d_][\u2500-\u259f][^\W\d_]|[^\W\d_][\u2580-\u259f]|[\u2580-\u259f][^\W\d_]|(?<=[^\u2580-\u259f] )[░▒▓] \d|½╗",  # boxes as letters
+            "¨[¡-¿]|(?<!\\w)і +[0-9A-F]{4},",  # boxes as signs
+        )
+    )
+)
+
+
+def _sequences(text: str, codec: str) -> list[tuple[int, int]]:
+    """Where the text holds UTF-8 read as codec, for sure."""
+    wrong, one, many = TABLES[codec]
+    found = [(m.start(), m.end()) for m in one.finditer(text) if m[0] in wrong]
+    sure = []
+    for k, (a, b) in enumerate(found):
+        before, after = text[a - 1 : a], text[b : b + 2]
+        seq = text[a:b]
+        beside = (k and found[k - 1][1] == a) or (k + 1 < len(found) and found[k + 1][0] == b)
+        if len(seq) == 3 or beside:
+            sure.append((a, b))
+        elif codec in ("cp1251", "koi8-r", "cp866"):
+            if seq[0] in "ГВГбв" and (before.isascii() and before.isalpha() or after[:1].isascii() and after[:1].isalpha()):
+                sure.append((a, b))
+        elif codec in ("mac-roman", "cp437", "cp850"):
+            if before.isalpha() or after.isalpha() or seq[0] in "┬" or (codec == "mac-roman" and seq[0] == "¬" and seq[1] not in "∞∂∑∏π∫"):
+                sure.append((a, b))
+        elif seq[1] in _CLOSING and before.isalpha() and not after[:1].isalpha() and seq[0] not in "ÂĂĹ":
+            continue
+        else:
+            sure.append((a, b))
+    return sure + [m.span() for m in many.finditer(text)]
+
+
+def kind(text: str) -> str | None:
+    """By what a wrongly decoded passage is known; null for correct text."""
+    if text.isascii():
+        return None
+    if _CONTROL.search(text):
+        return "control"
+    if _LOST.search(text):
+        return "lost"
+    for codec in CODECS:
+        if _sequences(text, codec):
+            return codec
+    for m in _ACCENTED.finditer(text):
+        if len(set(_ACCENTED_LETTERS.findall(m[0]))) >= 3:
+            return "accented"
+    if _TURNED_LONG.search(text) or len(_TURNED.findall(text)) >= 2:
+        return "turned"
+    return "misplaced" if _MISPLACED.search(text) else None
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docs, texts = (c.to_pylist() for c in batch.columns)
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, t in zip(docs, texts) if t and kind(t)], pa.int64())], ["doc_id"])
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").mapInArrow(_find, "doc_id bigint")

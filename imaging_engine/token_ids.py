@@ -1,0 +1,31 @@
+"""Problem 6: token ids of the whole corpus."""
+
+from __future__ import annotations
+
+import base64
+from collections.abc import Iterator
+from functools import cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+
+@cache
+def encoding():
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encode = encoding().encode_ordinary
+    for batch in batches:
+        ids = [encode(t) if t else [] for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").mapInArrow(_encode, "doc_id bigint, ids array<int>")

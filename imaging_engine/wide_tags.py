@@ -1,0 +1,58 @@
+"""Problem 3: comps as one row per file with a typed column for each tag of the dictionary."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def typed(text: Column, col_type: str) -> Column:
+    """The stripped text as a value of the type; null if it is not of the type."""
+    if col_type == "bigint":
+        return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    if col_type == "double":
+        return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    if col_type == "date":
+        parts = r"^([0-9]{4})(-?)([0-9]{2})\2([0-9]{2})$|^([0-9]{4})\.([0-9]{2})\.([0-9]{2})$"
+        iso = F.regexp_replace(text, parts, "$1$5-$3$6-$4$7")
+        return F.when(text.rlike(parts) & ~text.startswith("0000"), iso.try_cast("date"))
+    return text
+
+
+def latest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
+    """(file_path, tag_key, text) of the deciding row of each file and tag; null where it is blank. And the dictionary's rows."""
+    tags = spark.read.parquet(f"{sf_dir}/tag_dictionary.parquet").select("tag_key", "keyword", "col_type").orderBy("tag_key").collect()
+    names = {k: t.tag_key for t in tags for k in (t.tag_key.upper(), t.keyword)}
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    key = _strip(F.col("tag_key"))
+    bare = F.upper(_strip(F.regexp_replace(key, r"^\(|\)$", "")))
+    found = F.coalesce(F.try_element_at(known, key), F.when(bare.rlike("^[0-9A-F]{4},[0-9A-F]{4}$"), F.try_element_at(known, bare)))
+    rows = spark.read.parquet(f"{sf_dir}/comps.parquet").select("file_path", found.alias("tag_key"), "tag_value", "loaded_at").where("tag_key IS NOT NULL")
+    # rows of one moment: the greater text decides, so that the result does not hang on the order of the rows
+    last = rows.groupBy("file_path", "tag_key").agg(F.max(F.struct("loaded_at", "tag_value")).alias("last"))
+    text = _strip(F.col("last.tag_value"))
+    return last.select("file_path", "tag_key", F.when(text != "", text).alias("text")), tags
+
+
+def wide_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per file_path of comps, a column named by its keyword for each tag."""
+    cells, tags = latest(spark, sf_dir)
+    files = spark.read.parquet(f"{sf_dir}/comps.parquet").select("file_path").distinct()
+    wide = cells.groupBy("file_path").agg(
+        *[F.first(F.when(F.col("tag_key") == t.tag_key, F.col("text")), ignorenulls=True).alias(t.keyword) for t in tags]
+    )
+    return files.join(wide, "file_path", "left").select("file_path", *[typed(F.col(t.keyword), t.col_type).alias(t.keyword) for t in tags])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, tags = latest(spark, sf_dir)
+    kinds = {kind: [t.tag_key for t in tags if t.col_type == kind] for kind in ("bigint", "double", "date")}
+    bad = F.lit(False)
+    for kind, keys in kinds.items():
+        if keys:
+            bad = bad | (F.col("tag_key").isin(keys) & typed(F.col("text"), kind).isNull())
+    return cells.where(F.col("text").isNotNull() & bad).select("file_path", "tag_key")

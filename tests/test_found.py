@@ -1,0 +1,83 @@
+"""Each query over a few rows that hold its hard cases."""
+
+
+def test_p1(found):
+    files = [(1, "a", "/1"), (1, " a ", "/1"), (1, "a", "/2"), (1, None, "/3"), (1, "  ", "/4"), (2, "a", "/1")]
+    said = [(1, "a", 2), (1, "NO_SERIES", 1), (1, "NO_SERIES", 1), (2, "a", None), (3, "z", 0), (3, "y", 4)]
+    got = found("p1_found", ready_files=("scan_id long, series_uid string, path string", files), series_info=("scan_id long, series_uid string, file_count long", said))
+    assert got == [(1, "NO_SERIES"), (2, "a"), (3, "y")]
+
+
+def test_p3(found):
+    import datetime as dt
+
+    t = [dt.datetime(2025, 1, d) for d in (1, 2)]
+    tags = [("0008,0020", "StudyDate", "date"), ("0020,0011", "SeriesNumber", "bigint"), ("0010,1030", "PatientWeight", "double"), ("0008,0060", "Modality", "string"), ("0008,103E", "SeriesDescription", "string")]
+    rows = [
+        ("bad", "(0008,0020)", "20230230", t[0]), ("bad", "SeriesNumber", "9223372036854775808", t[0]), ("bad", " 0010,1030", "1,5", t[0]), ("bad", "0008,0060", "x", t[0]),
+        ("good", "0008,0020", " 2024.02.29 ", t[0]), ("good", "0020,0011", "-7", t[0]), ("good", "0010,1030", "1.5e3", t[0]), ("good", "a/0020,0011", "x", t[0]),
+        ("fixed", "0020,0011", "x", t[0]), ("fixed", "SeriesNumber", "5", t[1]), ("blank", "0020,0011", "x", t[0]), ("blank", "0020,0011", "  ", t[1]),
+    ]
+    got = found("p3_found", tag_dictionary=("tag_key string, keyword string, col_type string", tags), comps=("file_path string, tag_key string, tag_value string, loaded_at timestamp", rows))
+    assert got == [("bad", "0008,0020"), ("bad", "0010,1030"), ("bad", "0020,0011")]
+
+
+def test_p4(found):
+    bodies = [
+        '{"path":"/a","file_size":1}\r\n{"path":"/b","file_size":"2","note":"a, b; {c}"}\n{"path":"/lost","file_si', '﻿[{"path":"/a","file_size":1.0},{"path":"/c","file_size":3e1},{"path":"/lost","file_size":33',
+        '{"/d":{"path":"/d","file_size":4},"/e":{"path":"/e","fi', '{"path":"/lost\n{"path":"/f","file_size":6}', "", None,
+    ]
+    assert found("p4_found", manifest_fragments=("body string", [(b,) for b in bodies])) == [("/a", 1), ("/b", 2), ("/c", 30), ("/d", 4), ("/f", 6)]
+
+
+def test_p5(found):
+    d, s = "ab" * 32, "0" * 32
+    rows = [
+        (1, True, d, None), (2, False, "BLAKE3:" + d.upper() + "\n", s), (3, False, None, "0" * 30 + "3f"), (4, False, "", "0" * 30 + "ff"),
+        (5, False, "cd" * 32, "1" * 32), (6, False, "CD" * 32, "2" * 32), (7, False, None, "2" * 32), (8, True, None, "2" * 32), (9, False, None, None),
+    ]
+    got = found("p5_found", ready_files=("file_id long, accepted boolean, hash string, pixel_sig string", rows))
+    # 2 is a case and is not accepted: so 3 is, and 4 is a case of 3; 6 is a case of 5: so 7 is accepted
+    assert got == [(1, 2), (3, 4), (5, 6)]
+
+
+def test_p6(found):
+    from imaging_engine.token_ids import encoding
+
+    got = found("p6_ids", documents=("doc_id long, text string", [(1, None), (2, ""), (3, " "), (4, "a <|endoftext|> é")]))
+    assert [r[1] for r in got[:2]] == [[], []] and got[2][1] == encoding().encode_ordinary(" ") and encoding().decode(got[3][1]) == "a <|endoftext|> é" and 50256 not in got[3][1]
+
+
+def test_p7(found):
+    item = "Eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn"
+    w = item.split()
+    docs = [(1, "x " + ", ".join(w[1:13]).upper()), (2, " ".join(w[:11])), (3, "<p>" + " <b>".join(w[:6]) + "</b><br/>" + "\n".join(w[6:12]).replace("ü", "u")), (4, None)]
+    assert found("p7_found", documents=("doc_id long, text string", docs), eval_items=("item_id long, text string", [(7, item)])) == [(1, 7), (3, 7)]
+
+
+def test_p8(found):
+    ru, ja = "Патологии не обнаружено", "膵尾部に異常を認めない"
+    right = ["Größe", "SÃO, IRMÔ, ÂGE, NOËL", "«Ёлка» и «подъезд»", ja, "½ dose, ¼ time", "see §4.2 ¶3", "├── a │ b", "2√π", "x", "", None, "L’été – 37 °C ± 2 σ"]
+    wrong = [
+        "Größe".encode().decode("cp1252"), "é à".encode().decode("latin-1"), "“ab”".encode().decode("mac-roman"), "pré".encode().decode("cp437"), "é".encode().decode("cp1252").encode().decode("cp1252"),
+        ru.encode().decode("cp1251", "replace"), ru.encode("cp1251").decode("cp1252"), ru.encode("koi8-r").decode("cp1251"), ja.encode("euc-jp").decode("latin-1"), "głowa".encode("cp1250").decode("cp1252"), "lesão".encode("cp1252").decode("utf-8", "replace"),
+    ]
+    docs = [*enumerate(right), *enumerate(wrong, 100)]
+    assert found("p8_found", documents=("doc_id long, text string", docs)) == [(d,) for d, _ in docs if d >= 100]
+
+
+def test_p2(found):
+    from imaging_engine.personal import scrub
+
+    series = [
+        (1, "AX / cc ola.quist@post.example", "CT HEAD [MRN 12345678]"), (2, "AP, reach on 555-0188", "US for Mrs Shabelle Oskquist"), (3, "T1 - Oldgatestr. 9, 12345 Tarnby", "TORSKAN^ILTOSK^M"),
+        (4, "W400/-600 @ 3T", "Hask triangle"), (5, "img 001-512", "rev 7700.900"), (6, "dr table", "Street view recon"), (7, None, "20240311"),
+    ]
+    reports = [(1, "Sent to a.b [at] post dot example; 934-30-4408, 12 rue des Oldgates."), (2, "UID 2.25.047250465409738030432206; Software release 7700.900.38; Protocol 30-555-75. Patient Alert level unchanged."), (3, "")]
+    got = found("p2_found", series_info=("row_id long, series_description string, examination string", series), report_buffers=("report_id long, report string", reports))
+    assert got == [
+        ("report_buffers", 1, "report", "address"), ("report_buffers", 1, "report", "email"), ("report_buffers", 1, "report", "idnum"),
+        ("series_info", 1, "examination", "idnum"), ("series_info", 1, "series_description", "email"), ("series_info", 2, "examination", "name"),
+        ("series_info", 2, "series_description", "phone"), ("series_info", 3, "examination", "name"), ("series_info", 3, "series_description", "address"),
+    ]
+    assert scrub("Lives at 9B Oldgate Ave. Apt 3, Tarnby; call Mrs Oskquist.") == "Lives at [ADDRESS]; call [NAME]."
