@@ -81,3 +81,16 @@ def test_p2(found):
         ("series_info", 2, "series_description", "phone"), ("series_info", 3, "examination", "name"), ("series_info", 3, "series_description", "address"),
     ]
     assert scrub("Lives at 9B Oldgate Ave. Apt 3, Tarnby; call Mrs Oskquist.") == "Lives at [ADDRESS]; call [NAME]."
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_op1(found):
+    lines = [(1, 7, 1, 1, 5.0, 9.0, "R", "2024-01-02"), (1, 8, 1, 2, 2.0, 9.0, "A", "2024-01-01"), (1, 8, 1, 3, 1.0, 9.0, "A", "2024-01-03")]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate string"
+    got = found("op1_series_rollup", lineitem=(names, lines), orders=("o_orderkey long, o_custkey long", [(1, 4)]), customer=("c_custkey long, c_name string", [(4, "Customer#4")]))
+    assert got == [(1, 3, 8, 2, "Customer#4", "A")]
