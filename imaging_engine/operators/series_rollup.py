@@ -26,3 +26,7 @@ SELECT l.l_orderkey AS series_uid, CAST(count(*) AS BIGINT) AS file_count, CAST(
 FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey
 GROUP BY 1
 """
+
+
+QUERIES = {"series_rollup": series_rollup}
+SQL = {"series_rollup": SERIES_ROLLUP_SQL}
