@@ -190,7 +190,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(piece, word, n, original, times) to (word, piece, original, times, strong) of the pairs in which the piece is the garbled one."""
+    """(piece, word, n, original, times) to (word, piece, original, times, odd, strong) of the pairs in which the piece is the garbled one."""
     known: dict[str, int] = {}
 
     def odd(w: str) -> int:
@@ -208,11 +208,11 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n > times + 2:
                 continue  # wrong decoding is the exception: a garbled form is not what most documents have
             if piece == "�" or (a > o and len(piece) > 1 and " " not in piece):
-                out.append((word, piece, original, times, True))
+                out.append((word, piece, original, times, o, True))
             elif a >= o and times >= RARER * n and letters > 1:
-                out.append((word, piece, original, times, " " in piece or letters > 3))
+                out.append((word, piece, original, times, o, " " in piece or letters > 3))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_()))], ["word", "piece", "original", "times", "strong"]
+            [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_()))], ["word", "piece", "original", "times", "odd", "strong"]
         )
 
 
@@ -225,11 +225,11 @@ def document_words(documents: DataFrame) -> DataFrame:
 
 
 def garbled_words(spark: SparkSession, words: DataFrame) -> DataFrame:
-    """(word, piece, original, times, strong) of the distinct words (word, n) that are garbled."""
+    """(word, piece, original, times, odd, strong) of the distinct words (word, n) that are garbled."""
     table_ = words.mapInArrow(_table_rows, "form string, original string, n bigint").groupBy("form", "original").agg(F.max("n").alias("times"))
     pieces = words.mapInArrow(_cut, "piece string, word string, n bigint")
     pairs = pieces.hint("shuffle_hash").join(table_, F.col("piece") == F.col("form")).select("piece", "word", "n", "original", "times")
-    return pairs.mapInArrow(_judge, "word string, piece string, original string, times bigint, strong boolean")
+    return pairs.mapInArrow(_judge, "word string, piece string, original string, times bigint, odd int, strong boolean")
 
 
 def evidence(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -292,14 +292,14 @@ def _mark(m: re.Match) -> str:
 
 
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, restored, complete) of each case: the text with the originals in place. A garbled word stays where no original is RARER times
-    as frequent as the next one that it may stand for; complete tells that none stayed."""
+    """(doc_id, restored, complete) of each case: the text with the originals in place. A garbled word stays where no original looks more
+    like a word or is RARER times as frequent than the next one that it may stand for; complete tells that none stayed."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits, pairs = evidence(spark, documents)
-    ranked = F.array_sort(F.collect_set(F.struct((-F.col("times")).alias("times"), "original"))).alias("likely")
-    best = pairs.groupBy("word", "piece").agg(ranked).select(
-        "word", "piece", F.when((F.size("likely") == 1) | (F.col("likely")[0]["times"] <= RARER * F.try_element_at("likely", F.lit(2))["times"]), F.col("likely")[0]["original"]).alias("original")
-    )
+    likely = F.array_sort(F.collect_set(F.struct("odd", (-F.col("times")).alias("less"), "original")))
+    first, second = F.col("likely")[0], F.try_element_at("likely", F.lit(2))
+    sure = second.isNull() | (first["odd"] < second["odd"]) | (first["less"] <= RARER * second["less"])
+    best = pairs.groupBy("word", "piece").agg(likely.alias("likely")).select("word", "piece", F.when(sure, first["original"]).alias("original"))
     cases = _cases(hits)
     known = hits.join(cases, "doc_id").select("doc_id", "word").join(best, "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "piece", "original")).alias("known"))
     return documents.join(known, "doc_id").select("doc_id", "text", "known").mapInArrow(_restored, "doc_id bigint, text string, restored string, complete boolean").select("doc_id", "restored", "complete")

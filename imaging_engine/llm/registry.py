@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from imaging_engine.llm import encodings, history, tiling, transducer
+from imaging_engine.llm import encodings, history, personal, tiling, transducer
 
 
 def queries() -> dict:
-    fs = [history.p5_found, history.p5_decisions, transducer.p6_ids, tiling.p7_found, tiling.p7_coverage, encodings.p8_found, encodings.p8_restored]
+    fs = [personal.p2_found, personal.p2_scrubbed, history.p5_found, history.p5_decisions, transducer.p6_ids, tiling.p7_found, tiling.p7_coverage, encodings.p8_found, encodings.p8_restored]
     return {f.__name__: f for f in fs}
 
 
