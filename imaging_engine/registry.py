@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from imaging_engine.operators import compact, pivot, series_rollup, skew
+from imaging_engine.operators import compact, pivot, ready_files, skew
 
-MODULES = [skew, pivot, compact, series_rollup]
+MODULES = [skew, pivot, compact, ready_files]
 
 
 def queries() -> dict:
