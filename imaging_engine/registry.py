@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from imaging_engine.operators import compact, pivot, ready_files, skew
+from imaging_engine.operators import compact, compare, pivot, ready_files, skew
 
-MODULES = [skew, pivot, compact, ready_files]
+MODULES = [skew, pivot, compact, ready_files, compare]
 
 
 def queries() -> dict:
