@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from imaging_engine.functions import deid
 from imaging_engine.operators import compact, compare, pivot, ready_files, skew
 
-MODULES = [skew, pivot, compact, ready_files, compare]
+MODULES = [skew, pivot, compact, ready_files, compare, deid]
 
 
 def queries() -> dict:
