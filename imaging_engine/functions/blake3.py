@@ -59,11 +59,10 @@ def blake3(data: bytes) -> bytes:
     return struct.pack("<8I", *_tree(bytes(data), 0, ROOT))
 
 
-@F.pandas_udf("string")
-def _blake3_hex(values: pd.Series) -> pd.Series:
+def _hexes(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else blake3(v).hex())
 
 
 def blake3_hex(c: Column) -> Column:
     """The hash of a binary column in hexadecimal; null stays null."""
-    return _blake3_hex(c.cast("binary"))
+    return F.pandas_udf(_hexes, "string")(c.cast("binary"))

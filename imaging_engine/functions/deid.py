@@ -151,8 +151,8 @@ def anonymised(rows: DataFrame, seed: str = SEED, preserve_private: bool = False
     if not permit_burned_in:
         burned = rows.where((F.col("tag") == "0028,0301") & (F.upper("value") == "YES")).select("file").distinct()
         rows = rows.join(burned, "file", "left_anti")
-    creators = rows.where("grp = 49 AND elem BETWEEN 16 AND 255").select("file", F.col("elem").alias("block"), F.col("value").alias("creator"))
-    rows = with_patient(rows).join(creators, (rows.file == creators.file) & (F.col("grp") == 0x31) & (F.shiftright("elem", 8) == F.col("block")), "left").drop(creators.file)
+    creators = rows.where("grp = 49 AND elem BETWEEN 16 AND 255").select(F.col("file").alias("of"), F.col("elem").alias("block"), F.col("value").alias("creator"))
+    rows = with_patient(rows).join(creators, (F.col("file") == F.col("of")) & (F.col("grp") == 0x31) & (F.shiftright("elem", 8) == F.col("block")), "left")
     tag, vr, value, name = (F.col(c) for c in ("tag", "vr", "value", "name"))
     private = is_private(F.col("grp"))
     safe = F.col("elem").between(0x10, 0xFF) | vr.isin(*SAFE_PRIVATE_VRS)
