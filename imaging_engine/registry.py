@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from imaging_engine.functions import deid
-from imaging_engine.operators import compact, compare, pivot, ready_files, skew
+from imaging_engine.functions import deid, imaging, text
+from imaging_engine.operators import compact, compare, pivot, ready_files, skew, templates, volume
 
-MODULES = [skew, pivot, compact, ready_files, compare, deid]
+MODULES = [skew, pivot, compact, ready_files, compare, deid, imaging, volume, text, templates]
 
 
 def queries() -> dict:
