@@ -36,7 +36,7 @@ def truthy(json: Column) -> Column:
 def message(text: Column) -> tuple[Column, Column]:
     """The kind and the number (between 0 and 1) of a `KIND:payload` message."""
     n = F.regexp_extract(text, "^[A-Za-z_]+:(.*)$", 1).try_cast("double")
-    return F.when(text.rlike("^[A-Za-z_]+:"), F.upper(F.substring_index(text, ":", 1))).otherwise("TEXT"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), n))
+    return F.when(text.rlike("^[A-Za-z_]+:"), F.upper(F.substring_index(text, ":", 1))).otherwise("TEXT"), F.when(n.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), n)))
 
 
 def finish_before(text: str) -> str:
@@ -156,7 +156,7 @@ UPLOAD = "uploaded array<array<string>>, duplicates array<array<string>>, failed
 
 def jsn03_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lists of an upload response as rows; entries of fewer than two parts are no entries."""
-    name = F.concat(F.lit('["'), F.element_at(F.split("path", "/"), -1), F.lit('", "h'), F.col("file_id").cast("string"), F.lit('"]'))
+    name = F.concat(F.lit('["'), F.regexp_extract("path", r"([^/\\]*)$", 1), F.lit('", "h'), F.col("file_id").cast("string"), F.lit('"]'))
     part = lambda k: F.when(F.col("file_id") % 3 == k, name).otherwise(F.lit('["lonely"]'))
     response = F.concat(F.lit('{"uploaded": ['), part(0), F.lit('], "duplicates": ['), part(1), F.lit('], "failed": ['), part(2), F.lit("]}"))
     p = F.from_json(response, UPLOAD)
@@ -200,7 +200,7 @@ SQL = {
     "str20_same_letters": "SELECT lower(lang) AS lang, count(*) AS n FROM documents GROUP BY 1",
     "jsn01_truth": "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT) <> 0, false) AS number, event_id % 2 = 0 AS text, false AS fraction, false AS nothing FROM events",
     "jsn02_lookup": f"SELECT file_id, {_CLEAN} AS hash, 'https://pacs.example/series/' || file_id AS url FROM ready_files WHERE hash <> '' AND file_id % 3 <> 0",
-    "jsn03_upload": "SELECT file_id, CASE file_id % 3 WHEN 0 THEN 'uploaded' WHEN 1 THEN 'duplicates' ELSE 'failed' END AS status, split_part(path, '/', -1) AS name, 'h' || file_id AS hash FROM ready_files WHERE path IS NOT NULL",
+    "jsn03_upload": "SELECT file_id, CASE file_id % 3 WHEN 0 THEN 'uploaded' WHEN 1 THEN 'duplicates' ELSE 'failed' END AS status, regexp_extract(path, '([^/\\\\]*)$', 1) AS name, 'h' || file_id AS hash FROM ready_files WHERE path IS NOT NULL",
     "jsn04_commands": "WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS line, unnest(range(0, len(string_split_regex(text, '\\r?\\n')))) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, n, coalesce(CASE WHEN json_valid(trim(line)) THEN json_extract_string(trim(line), '$.cmd') END, 'text') AS cmd FROM l WHERE starts_with(trim(line), '{')",
     "map01_merge": "SELECT row_id, coalesce(modality, 'OT') AS modality, coalesce(examination, 'none') AS exam, 'main' AS site FROM series_info",
 }

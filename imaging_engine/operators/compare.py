@@ -27,10 +27,10 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that are compared with one another: those of a directory (run), so that each has few files but there are many sets."""
-    return values(spark, sf_dir).withColumn("run", F.regexp_extract("file", r"^(.*)/[^/]*$", 1))
+    return values(spark, sf_dir).withColumn("run", F.regexp_extract("file", r"^(.*)[/\\][^/\\]*$", 1))
 
 
-_W = """w AS (SELECT key, file, run, value FROM (SELECT trim(tag_key) AS key, file_path AS file, trim(tag_value) AS value, loaded_at, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS run FROM comps)
+_W = """w AS (SELECT key, file, run, value FROM (SELECT trim(tag_key) AS key, file_path AS file, trim(tag_value) AS value, loaded_at, regexp_extract(file_path, '^(.*)[/\\\\][^/\\\\]*$', 1) AS run FROM comps)
   WHERE key <> '' AND file IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key, file ORDER BY loaded_at DESC NULLS LAST, value DESC NULLS LAST) = 1)"""
 
 

@@ -220,7 +220,8 @@ def joi05_still_to_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    """What follows the last separator, in either style of paths."""
+    return F.regexp_extract(path, r"([^/\\]*)$", 1)
 
 
 def joi06_by_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,7 +339,7 @@ coalesce(CASE WHEN trim(modality) <> '' THEN modality END, 'Unknown') || ' — '
     "joi03_unknown": f"WITH {_REG} SELECT file_id FROM ready_files r WHERE NOT accepted AND NOT EXISTS (SELECT 1 FROM reg WHERE reg.hash = r.hash)",
     "joi04_flagged_series": f"WITH {_F} SELECT row_id, series_uid FROM series_info s WHERE EXISTS (SELECT 1 FROM f WHERE is_duplicate AND f.series_uid = s.series_uid)",
     "joi05_still_to_check": "SELECT hash FROM ready_files WHERE NOT accepted AND hash <> '' EXCEPT SELECT hash FROM ready_files WHERE accepted AND hash <> ''",
-    "joi06_by_file_name": "WITH r AS (SELECT scan_id, file_id, path, split_part(path, '/', -1) AS name FROM ready_files) SELECT file_id, first_value(path) OVER (PARTITION BY scan_id, name ORDER BY path, file_id) AS first_path FROM r WHERE scan_id IS NOT NULL AND name IS NOT NULL",
+    "joi06_by_file_name": "WITH r AS (SELECT scan_id, file_id, path, regexp_extract(path, '([^/\\\\]*)$', 1) AS name FROM ready_files) SELECT file_id, first_value(path) OVER (PARTITION BY scan_id, name ORDER BY path, file_id) AS first_path FROM r WHERE scan_id IS NOT NULL AND name IS NOT NULL",
     "set06_union_all": f"WITH {_REG}, a AS (SELECT 'stored' AS src FROM ready_files WHERE is_duplicate UNION ALL SELECT 'looked up' FROM ready_files r WHERE NOT accepted AND EXISTS (SELECT 1 FROM reg WHERE reg.hash = r.hash)) SELECT src, count(*) AS n FROM a GROUP BY 1",
     "set07_distinct_hashes": "SELECT DISTINCT hash FROM ready_files WHERE hash <> ''",
     "srt01_order": f"WITH {_F} SELECT series_uid, path, file_id FROM f ORDER BY ALL",
