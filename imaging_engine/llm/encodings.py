@@ -226,6 +226,9 @@ def document_words(documents: DataFrame) -> DataFrame:
 
 def garbled_words(spark: SparkSession, words: DataFrame) -> DataFrame:
     """(word, piece, original, times, odd, strong) of the distinct words (word, n) that are garbled."""
+    # the words are few bytes but each makes hundreds of forms: by size alone they would be one task
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = words.repartition(tasks)
     table_ = words.mapInArrow(_table_rows, "form string, original string, n bigint").groupBy("form", "original").agg(F.max("n").alias("times"))
     pieces = words.mapInArrow(_cut, "piece string, word string, n bigint")
     pairs = pieces.hint("shuffle_hash").join(table_, F.col("piece") == F.col("form")).select("piece", "word", "n", "original", "times")
