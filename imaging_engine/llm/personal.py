@@ -26,8 +26,8 @@ FIELDS = (("series_info", "row_id", "series_description"), ("series_info", "row_
 
 _AT, _DOT = r"\s?(?:@|＠|&#64;|[\[({<]\s?(?:at|@)\s?[\])}>])\s?", r"(?:\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)"
 _EMAIL = [
-    re.compile(rf"(?:mailto:)?[\w.+-]+{_AT}[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[a-z]{{2,}}\b", re.I),
-    re.compile(r"[\w.+-]+ at [\w-]+(?: dot [\w-]+)+\b", re.I),
+    re.compile(rf"(?:mailto:)?(?<![\w.+-])[\w.+-]++{_AT}[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[a-z]{{2,}}\b", re.I),
+    re.compile(r"(?<![\w.+-])[\w.+-]++ at [\w-]+(?: dot [\w-]+)+\b", re.I),
 ]
 
 _CUE = r"(?:\b(?:tel|telephone|telefon|phone|ph|mobile|mob|cell|handy|fax|call back|call|reach on|reach at|reached (?:under|on|at))\b[.:]*\s*)"
@@ -51,7 +51,8 @@ _IDNUM = [
     re.compile(r"\bPAT\d{5,}\b"),
 ]
 
-_CAP = r"[A-ZÀ-ÖØ-ÞŁŚŠŻŽČ][\w’'-]+"
+#: A name has 61 letters at most; so no run of letters, however long, is looked at again from each of its letters.
+_CAP = r"[A-ZÀ-ÖØ-ÞŁŚŠŻŽČ][\w’'-]{1,60}"
 #: Flat, town and postcode after the street.
 _TOWN = rf"(?:\.?,? (?:Apt|Flat|Unit)\.? \d+)?(?:(?:, ?|\n)(?:\d{{4,5}} )?{_CAP}(?: \d{{4,5}})?)?"
 _STREET = "(?i:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Drive|Dr|Way|Court|Ct|Place|Square|Blvd|Boulevard|Crescent|Terrace)"
@@ -66,26 +67,41 @@ _ADDRESS = [
 _GIVEN = "(?:lio|dra|tosk|gor|mira|belle|phine|zo|[uü]le|vane|wen|shan|rick|netta)"
 _FAMILY = "(?:moto|sen|narov|esco|ander|[nñ]ez|ulla|dahl|kan|stett|wyck|leigh|quist|ovic)"
 _TITLE = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Miss|PD|Mme|Mlle|Sr|Sra)\b\.?|Frau|Herrn?|Schwester|[Nn]urse|[Pp]atient(?:in)?|[Pp]t\.?)"
-_WORDLIKE = r"[^\W\d_][\w’'-]*"
+_WORDLIKE = r"[^\W\d_][\w’'-]{0,60}"
 _NAME = [
-    re.compile(r"(?<![\w^])[^\W\d_](?:[^\W\d_]|[’'-]){2,}\^[^\W\d_](?:[^\W\d_]|[’'-]){2,}(?:\^[^\W\d_]*)*"),
+    re.compile(r"(?<![\w^])[^\W\d_](?:[^\W\d_]|[’'-]){2,60}\^[^\W\d_](?:[^\W\d_]|[’'-]){2,60}(?:\^[^\W\d_]{0,60}){0,3}"),
     re.compile(rf"\b(?:(?:Dr|Prof|Mr|Mrs|Ms|Miss|Mme|Mlle|Sra)\b\.?|Frau|Herrn?)\s+(?:(?:Dr|Prof|med)\b\.?\s+)*(?:[A-ZÀ-Þ]\.\s+)?{_CAP}(?:\s+{_CAP})?"),
     re.compile(rf"\b{_TITLE}\s+(?:{_WORDLIKE}\s+)?{_WORDLIKE}{_FAMILY}\b", re.I),
     re.compile(rf"\b{_WORDLIKE}{_GIVEN}(?:\s+[^\W\d_]\.)?\s+{_WORDLIKE}{_FAMILY}\b", re.I),
     re.compile(rf"\b{_WORDLIKE}{_FAMILY},\s*{_WORDLIKE}{_GIVEN}\b", re.I),
-    re.compile(rf"(?<![\w.])[A-ZÀ-ÞŁŚŠŻŽ]\.\s?{_CAP[:-1]}*{_FAMILY}\b"),
+    re.compile(rf"(?<![\w.])[A-ZÀ-ÞŁŚŠŻŽ]\.\s?[A-ZÀ-ÖØ-ÞŁŚŠŻŽČ][\w’'-]{{0,60}}{_FAMILY}\b"),
 ]
-PATTERNS = (("email", _EMAIL), ("idnum", _IDNUM), ("phone", _PHONE), ("address", _ADDRESS), ("name", _NAME))
+_ENDING = re.compile(rf"{_FAMILY}\b", re.I)
+#: By kind its patterns, each with what a text must hold for it to be tried at all.
+PATTERNS = (
+    ("email", [(_EMAIL[0], re.compile(r"[@＠]|&#64;|[\[({<]\s?at", re.I)), (_EMAIL[1], re.compile(" at "))]),
+    ("idnum", [(p, re.compile(r"\d\d")) for p in _IDNUM]),
+    ("phone", [(p, re.compile(r"\d\d")) for p in _PHONE]),
+    ("address", [(p, re.compile(r"\d")) for p in _ADDRESS]),
+    ("name", [(_NAME[0], re.compile(r"\^")), (_NAME[1], None), *[(p, _ENDING) for p in _NAME[2:]]]),
+)
 
 
 def items(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each item, in order. What one kind has taken is hidden from the next: so a name inside an e-mail address is none."""
     found, left = [], text
     for kind, patterns in PATTERNS:
-        for p in patterns:
-            for m in p.finditer(left):
-                found.append((m.start(), m.end(), kind))
-            left = p.sub(lambda m: "\0" * len(m[0]), left)
+        for p, hint in patterns:
+            if hint is not None and not hint.search(left):
+                continue
+            spans = [m.span() for m in p.finditer(left) if m.end() > m.start()]
+            if spans:
+                found += [(a, b, kind) for a, b in spans]
+                parts, at = [], 0
+                for a, b in spans:
+                    parts += [left[at:a], "\0" * (b - a)]
+                    at = b
+                left = "".join([*parts, left[at:]])
     return sorted(found)
 
 
