@@ -177,3 +177,12 @@ def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 0.8 of an item in tiles of five words or more, in any order."""
     pairs = tile_pairs(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), min_match=5)
     return pairs.where("covered >= 0.8 * item_words")
+
+
+_SQL_WORDS = r"""regexp_extract_all(strip_accents(lower(regexp_replace(regexp_replace(regexp_replace(text, '</?(a|abbr|b|big|code|del|em|font|i|ins|mark|q|s|small|span|strong|sub|sup|tt|u)(\s[^<>]*)?/?>', '', 'gi'),
+  '<!--.*?-->|</?[a-z!][^<>]*>', ' ', 'gis'), '[\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]', '', 'g'))), '[\p{L}\p{N}]+')"""
+P7_SQL = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents), i AS (SELECT item_id, {_SQL_WORDS} AS w FROM eval_items),
+dr AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - {MIN_MATCH} + 2), lambda k: array_to_string(w[k:k + {MIN_MATCH} - 1], ' '))) AS run FROM d WHERE len(w) >= {MIN_MATCH}),
+ir AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - {MIN_MATCH} + 2), lambda k: array_to_string(w[k:k + {MIN_MATCH} - 1], ' '))) AS run FROM i WHERE len(w) >= {MIN_MATCH})
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)"""
