@@ -136,7 +136,15 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_groups(spark, fragments, 1 << 20)
 
 
+#: An object without objects in it; braces within texts don't count.
+_OBJECT = r"""\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*\}"""
+
 SQL = {
+    "p4_found": f"""
+WITH o AS (SELECT unnest(regexp_extract_all(body, '{_OBJECT}')) AS o FROM manifest_fragments),
+v AS (SELECT o::JSON AS o FROM o WHERE json_valid(o)),
+r AS (SELECT json_extract_string(o, '$.path') AS path, trim(json_extract_string(o, '$.file_size')) AS n FROM v WHERE json_type(o, '$.path') = 'VARCHAR' AND json_type(o, '$.file_size') NOT IN ('NULL', 'BOOLEAN', 'ARRAY', 'OBJECT'))
+SELECT DISTINCT path, CAST(CAST(n AS DOUBLE) AS BIGINT) AS file_size FROM r WHERE try_cast(n AS DOUBLE) = floor(try_cast(n AS DOUBLE))""",
     "p4_groups": """
 SELECT frag_id, CAST(floor(coalesce(sum(frag_size) OVER (ORDER BY frag_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1048576) AS INT) AS grp FROM manifest_fragments"""
 }

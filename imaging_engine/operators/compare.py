@@ -47,9 +47,9 @@ def full_outer(left: DataFrame, right: DataFrame) -> DataFrame:
 def joi07_two_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first and the last file of the metadata, key by key."""
     df = values(spark, sf_dir)
-    ends = df.agg(F.min("file").alias("lo"), F.max("file").alias("hi"))
-    both = df.join(F.broadcast(ends), (F.col("file") == F.col("lo")) | (F.col("file") == F.col("hi")))
-    return full_outer(both.where("file = lo"), both.where("file = hi"))
+    ends = df.agg(F.min("file").alias("lo"), F.max("file").alias("hi")).select(F.posexplode(F.array("lo", "hi")).alias("side", "file"))
+    both = df.join(ends, "file")
+    return full_outer(both.where("side = 0"), both.where("side = 1"))
 
 
 def joi08_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,11 +246,11 @@ def top02_quick_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top03_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 20 elements of each file's metadata list (a list's length is the feature)."""
+    """The first 300 elements of each file's metadata list (a list's length is the feature)."""
     from imaging_engine.functions.deid import elements
 
     w = Window.partitionBy("file").orderBy("grp", "elem")
-    rows = elements(spark, sf_dir).where("grp IN (8, 16, 32, 40)").withColumn("n", F.row_number().over(w)).where("n <= 20")
+    rows = elements(spark, sf_dir).where("grp IN (8, 16, 32, 40)").withColumn("n", F.row_number().over(w)).where("n <= 300")
     return rows.select("file", "n", F.concat("tag", F.lit(": "), "value").alias("line"))
 
 
