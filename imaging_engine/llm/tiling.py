@@ -122,6 +122,22 @@ def _seeded(size: int, wanted: np.ndarray | None):
     return run
 
 
+def _placed(size: int):
+    """Maps (id, text) of items to (seed, item_id, pos, item_words), a row for each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                w = words(text)
+                own = seeds(w, size).tolist()
+                for c, v in zip(out, (own, [key] * len(own), range(len(own)), [len(w)] * len(own))):
+                    c += v
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["seed", "item_id", "pos", "item_words"])
+
+    return run
+
+
 def _tiled(min_match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: dict[str, list[str]] = {}
@@ -141,12 +157,13 @@ def _tiled(min_match: int):
     return run
 
 
-def tile_pairs(spark: SparkSession, documents: DataFrame, items: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
-    """(doc_id, item_id, tiles, longest, covered, item_words) of each document (doc_id, text) and item (item_id, text) that have a tile."""
+def tile_pairs(spark: SparkSession, documents: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, least: float = 0) -> DataFrame:
+    """(doc_id, item_id, tiles, longest, covered, item_words) of each document (doc_id, text) and item (item_id, text) that have a tile; with least,
+    of those whose tiles cover so much of the item. No tile reaches beyond the item's windows that the document has: pairs in which those
+    cover too little are left out before they are tiled."""
     schema = "id bigint, text string, seeds array<bigint>"
     items = items.select(F.col("item_id").cast("bigint").alias("id"), "text").distinct()
-    seeded = items.mapInArrow(_seeded(min_match, None), schema)
-    item_seeds = seeded.select(F.explode("seeds").alias("seed"), F.col("id").alias("item_id"))
+    item_seeds = items.mapInArrow(_placed(min_match), "seed bigint, item_id bigint, pos int, item_words int")
     few = item_seeds.limit(FILTER_SEEDS + 1).count() <= FILTER_SEEDS
     wanted = np.sort(np.array([r.seed for r in item_seeds.select("seed").distinct().collect()], np.int64)) if few else None
     # texts without a seed of the items end here, so that what is written is the candidates alone
@@ -160,10 +177,17 @@ def tile_pairs(spark: SparkSession, documents: DataFrame, items: DataFrame, min_
         # a seed of boilerplate may be in a third of the documents: it is spread over SALTS tasks
         salted = item_seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         pairs = doc_seeds.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"])
+    if least:
+        at = F.array_sort(F.collect_set("pos")).alias("at")  # at most the item's windows
+        pairs = pairs.groupBy("id", "item_id").agg(at, F.max("item_words").alias("item_words"))
+        steps = F.transform("at", lambda p, k: F.least(F.lit(min_match), F.coalesce(F.try_element_at("at", k + 2) - p, F.lit(min_match))))
+        pairs = pairs.where(F.aggregate(steps, F.lit(0), lambda s, x: s + x) >= least * F.col("item_words"))
     pairs = pairs.select("id", "item_id").distinct()
     with_docs = pairs.alias("p").join(docs.select("id", "text").distinct().alias("d"), F.expr("p.id <=> d.id"))
     both = with_docs.join(items.alias("i"), F.expr("p.item_id <=> i.id")).select(F.col("p.id"), F.col("d.text"), "p.item_id", F.col("i.text").alias("item"))
     found = both.mapInArrow(_tiled(min_match), "doc_id bigint, item_id bigint, tiles bigint, longest bigint, covered bigint, item_words bigint")
+    if least:
+        found = found.where(F.col("covered") >= least * F.col("item_words"))
     best = F.max(F.struct("covered", "longest", "tiles", "item_words")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.tiles", "b.longest", "b.covered", "b.item_words")
 
@@ -175,8 +199,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 0.8 of an item in tiles of five words or more, in any order."""
-    pairs = tile_pairs(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), min_match=5)
-    return pairs.where("covered >= 0.8 * item_words")
+    return tile_pairs(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), min_match=5, least=0.8)
 
 
 _SQL_WORDS = r"""regexp_extract_all(strip_accents(lower(regexp_replace(regexp_replace(regexp_replace(text, '</?(a|abbr|b|big|code|del|em|font|i|ins|mark|q|s|small|span|strong|sub|sup|tt|u)(\s[^<>]*)?/?>', '', 'gi'),
