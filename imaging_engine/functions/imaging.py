@@ -296,7 +296,7 @@ def agg22_legacy_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_summed(name: str, px: str) -> str:
-    return f"round(list_sum({px}), 4) AS {name}_sum, round(list_sum(list_transform({px}, lambda v, k: v * k)), 3) AS {name}_placed"
+    return f"round(CAST(list_sum({px}) AS DOUBLE), 4) AS {name}_sum, round(CAST(list_sum(list_transform({px}, lambda v, k: v * k)) AS DOUBLE), 3) AS {name}_placed"
 
 
 _DOT = "(px[1] * px[4] + px[2] * px[5] + px[3] * px[6])"
